@@ -4,16 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe_fold import digests
+from .byte_bpe import public_path
 from .common import read
 from .minhash_dedup import near_duplicates
+from .token_counts import token_counts
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op9_bpe_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(read(spark, sf_dir, "documents"), path=public_path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read(spark, sf_dir, "documents"), path=public_path("piece_bpe_32k.model"), limit=4096)
+
+
 QUERIES = {
     "op8_minhash": op8_minhash,
+    "op9_bpe_fold": op9_bpe_fold,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}
