@@ -8,7 +8,17 @@ from .bpe_fold import digests
 from .byte_bpe import public_path
 from .common import read
 from .minhash_dedup import near_duplicates
+from .packing import pack_documents
 from .token_counts import token_counts
+from .token_files import encoded_documents
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read(spark, sf_dir, "documents"), path=public_path("byte_bpe_50k.json"), end_id=2)
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_documents(read(spark, sf_dir, "documents"), path=public_path("byte_bpe_50k.json"), end_id=0)
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +34,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op4_token_files": op4_token_files,
     "op8_minhash": op8_minhash,
     "op9_bpe_fold": op9_bpe_fold,
     "op10_token_counts": op10_token_counts,
