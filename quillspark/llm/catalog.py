@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe_fold import digests
 from .byte_bpe import public_path
 from .common import read
+from .exact_topk import exact_top_k
 from .minhash_dedup import near_duplicates
 from .packing import pack_documents
+from .rp_forest import near_duplicate_vectors
 from .token_counts import token_counts
 from .token_files import encoded_documents
 
@@ -17,10 +20,18 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), path=public_path("byte_bpe_50k.json"), end_id=2)
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_documents(read(spark, sf_dir, "documents"), path=public_path("byte_bpe_50k.json"), end_id=0)
 
 
+def op5_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(read(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), size=3, percent=85)
 
@@ -35,7 +46,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_exact_topk": op3_exact_topk,
     "op4_token_files": op4_token_files,
+    "op5_rp_forest": op5_rp_forest,
     "op8_minhash": op8_minhash,
     "op9_bpe_fold": op9_bpe_fold,
     "op10_token_counts": op10_token_counts,
