@@ -5,10 +5,11 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,24 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Letters, digits and spaces among U+0000..U+00FF (fixed values of the Unicode standard).
+_LETTERS, _DIGITS, _SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
+
+
 @functools.cache
-def splitter() -> regex.Pattern:
-    return regex.compile(PATTERN)
+def _splitters():
+    latin = f" ?[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[{_DIGITS}]+| ?[^{_SPACES}{_LETTERS}{_DIGITS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
+    return re.compile(latin).findall, regex.compile(PATTERN).findall
+
+
+def pieces(text: str) -> list[str]:
+    """The matches of PATTERN; texts of the first 256 characters alone take a faster pattern of the same meaning."""
+    latin, general = _splitters()
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return general(text)
+    return latin(text)
 
 
 @functools.cache
@@ -65,7 +81,7 @@ class TextEncoder:
     do all texts of other tokenizers.
     """
 
-    def __init__(self, path: str, pieces_kept: int = 250_000):
+    def __init__(self, path: str, pieces_kept: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -76,10 +92,10 @@ class TextEncoder:
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.size = self.whole.get_vocab_size(with_added_tokens=True)
         self.kept = pieces_kept
-        self.cache: dict[str, tuple[int, ...] | None] = {}
+        self.cache: dict[str, bytes | None] = {}
         if self.plain:
-            self.pieces = Tokenizer.from_file(path)
-            self.pieces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.alone = Tokenizer.from_file(path)
+            self.alone.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
     def _direct(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -88,23 +104,24 @@ class TextEncoder:
         if not self.plain:
             yield from (self._direct(t or "") for t in texts)
             return
-        find = splitter().findall
-        split = [find(t) if t and not any(s in t for s in self.special) else None for t in texts]
+        split = [pieces(t) if t and not any(s in t for s in self.special) else None for t in texts]
         distinct = set().union(*(s for s in split if s is not None))
         if len(self.cache) + len(distinct) > self.kept:
             self.cache = {k: v for k, v in self.cache.items() if k in distinct}
         new = [p for p in distinct if p not in self.cache]
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            for p, e in zip(part, self.pieces.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[p] = tuple(e.ids) if settled(p) else None
+            for p, e in zip(part, self.alone.encode_batch_fast(part, add_special_tokens=False)):
+                self.cache[p] = array("I", e.ids).tobytes() if settled(p) else None
         get = self.cache.__getitem__
         for text, parts in zip(texts, split):
             if parts is None:
                 yield self._direct(text) if text else np.empty(0, np.uint32)
                 continue
-            ids = list(map(get, parts))
-            yield self._direct(text) if None in ids else np.fromiter(chain.from_iterable(ids), np.uint32)
+            try:
+                yield np.frombuffer(b"".join(map(get, parts)), np.uint32)
+            except TypeError:  # a piece without ids of its own
+                yield self._direct(text)
 
 
 @functools.cache

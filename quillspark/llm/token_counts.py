@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_bpe import public_path, settled, slices, splitter
+from .byte_bpe import PATTERN, pieces, public_path, settled, slices
 
 
 def merge(symbols: list, rank: Callable[[object], int | None]) -> list:
@@ -96,7 +96,7 @@ class ByteModelCounter:
 
         with open(path, "rb") as f:
             self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.library = tiktoken.Encoding("counts", pat_str=splitter().pattern, mergeable_ranks=self.rank, special_tokens={})
+        self.library = tiktoken.Encoding("counts", pat_str=PATTERN, mergeable_ranks=self.rank, special_tokens={})
         self.kept = words_kept
         self.cache: dict[str, int] = {}
 
@@ -105,7 +105,7 @@ class ByteModelCounter:
             return 0
         if not settled(text):
             return len(self.library.encode_ordinary(text))
-        words, cache = splitter().findall(text), self.cache
+        words, cache = pieces(text), self.cache
         if len(cache) > self.kept:
             cache.clear()
         for w in set(words):
