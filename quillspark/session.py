@@ -7,6 +7,9 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def build_session(master: str | None = None, name: str = "quillspark", **conf: str) -> SparkSession:
     """A session with the settings that the queries assume; anything can be overridden."""
     settings = {
@@ -27,9 +30,12 @@ def build_session(master: str | None = None, name: str = "quillspark", **conf: s
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers find this package where it is a folder that they can see.
 
-    Elsewhere pass it with --py-files; setting the path then does no harm."""
+    Elsewhere pass it with --py-files; setting the path then does no harm. Arrow batches are cut down from
+    the default of 64 MB, which a worker may hold several times over, unless the session sets a size."""
     root = str(Path(__file__).resolve().parent.parent)
     environment = spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(":") if p]
     if root not in paths:
         environment["PYTHONPATH"] = ":".join([*paths, root])
+    if spark.conf.get(BATCH) == "67108864b":
+        spark.conf.set(BATCH, "8m")
