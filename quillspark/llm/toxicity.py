@@ -39,16 +39,16 @@ NEUTRAL = "people"
 @dataclass(frozen=True)
 class Settings:
     """sample: labelled rows to fit on at most; least: documents that a feature needs; strength: of the
-    evidence that it needs, in standard errors of its log odds; most: features; ridge: weight decay;
-    counterfactual: weight of the penalty on swapped names."""
+    evidence that it needs, as the G statistic of its table with the label; most: features; ridge: weight
+    decay; counterfactual: weight of the penalty on swapped names."""
 
     sample: int = 20_000
     least: int = 5
-    strength: float = 4.0
+    strength: float = 20.0
     most: int = 4096
     ridge: float = 1e-5
     counterfactual: float = 1.0
-    steps: int = 400
+    steps: int = 800
     terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS
 
 
@@ -105,12 +105,13 @@ def fit(hits: list[list[int]], labels: np.ndarray, swapped: list[tuple[list[int]
     moved = np.array([i for a, b in swapped for i in (*a, *b)], np.int64)
     sign = np.array([x for a, b in swapped for x in (*[1.0] * len(a), *[-1.0] * len(b))])
     w = np.zeros(n + 1)
-    w[n] = np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5))
+    # Both labels weigh the same together: a single insult in a short text then counts against it.
+    share = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (len(labels) - labels.sum()))
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, s.steps + 1):
         z = w[n] + np.bincount(rows, w[cols], len(hits))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        off = (p - labels) / len(labels)
+        off = (p - labels) * share
         g = np.append(np.bincount(cols, off[rows], n), off.sum())
         g[:n] += s.ridge * w[:n]
         if len(swapped):
@@ -155,9 +156,12 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     if not n_bad or not n_good:
         return Model({}, np.zeros(0), 30.0 if n_bad else -30.0)
     counted = sample.mapInArrow(count, "feature string, n long, bad long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    a, b = F.col("bad") + 0.5, F.col("n") - F.col("bad") + 0.5
-    odds = F.log(a / (n_bad - F.col("bad") + 0.5)) - F.log(b / (n_good - F.col("n") + F.col("bad") + 0.5))
-    strength = F.abs(odds) / F.sqrt(1 / a + 1 / b)
+    n, bad, total = F.col("n").cast("double"), F.col("bad").cast("double"), n_bad + n_good
+    cell = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    strength = 2 * (
+        cell(bad, n * n_bad / total) + cell(n - bad, n * n_good / total)
+        + cell(n_bad - bad, (total - n) * n_bad / total) + cell(n_good - n + bad, (total - n) * n_good / total)
+    )
     chosen = counted.where(F.col("n") >= settings.least).withColumn("z", strength).where(F.col("z") >= settings.strength).orderBy(F.desc("z"), "feature").limit(settings.most)
     names = sorted({r["feature"] for r in chosen.collect()} | {t for kind in settings.terms for t in kind} | {NEUTRAL})
     places = {f: i for i, f in enumerate(names)}
