@@ -1,0 +1,157 @@
+"""Chat formatting, exact search, toxicity and the pipeline."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from quillspark.llm import chat_format, exact_topk, toxicity
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_chat_digests(spark):
+    random.seed(1)
+    bits = ["### ", "assistant", ": ", " </turn>", "\n", "\\", "<", "#", "ü🙂", "x"]
+    rows = []
+    for c in range(60):
+        for t in range(random.randint(1, 9)):
+            rows.append((c, t, random.choice(["user", "assistant", "sys:tem\\", None]), random.choice([None, "", "".join(random.choices(bits, k=6))])))
+    rows += [(None, 0, "user", "no id"), (-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, node_id int")
+    got = {r["conv_id"]: r for r in chat_format.digests(chat_format.format_threads(chat_format.conversation_threads(df))).collect()}
+    assert len(got) == 62
+    for key, r in got.items():
+        own = [(role or "", text or "") for c, _, role, text in rows if c == key]
+        learned = "".join(t for role, t in own if role == "assistant")
+        assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == (len(own), sha("".join(f"{a}\n{b}\n" for a, b in own)), len(learned), sha(learned))
+        assert r["formatted_chars"] > sum(len(b) for _, b in own)
+    assert chat_format.format_threads(chat_format.conversation_threads(df.limit(0))).count() == 0
+
+
+def test_reply_trees(spark):
+    random.seed(5)
+    rows = [(tree, n, random.randrange(n) if n else None, "user", f"m{n}", random.choice([0.0, 1.0, None])) for tree in range(6) for n in range(40)]
+    rows += [(9, 1, 2, "u", "cycle", 1.0), (9, 2, 1, "u", "cycle", 1.0), (9, 3, 2, "u", "below", 1.0), (9, 4, 4, "u", "self", 1.0), (9, 5, 99, "u", "lost", 1.0), (9, None, 4, "u", "no id", 1.0), (9, 5, 99, "u", "lost", 1.0)]
+    df = spark.createDataFrame(rows, "tree_id long, node_id long, parent_id long, role string, text string, score double")
+    got = {}
+    for r in chat_format.read_back(chat_format.format_threads(df, score="score")).collect():
+        got[r["tree_id"], r["leaf_id"]] = r
+    up = {(t, n): p for t, n, p, *_ in rows[:240]}
+    score = {(t, n): s or 0 for t, n, _, _, _, s in rows[:240]}
+    leaves = [(t, n) for t, n in up if not any(up[t, m] == n for m in range(40))]
+    assert {k for k in got if k[0] != 9} == set(leaves) and {k[1] for k in got if k[0] == 9} == {4, 5}
+    ranks = {}
+    for t, leaf in leaves:
+        path, n = [], leaf
+        while n is not None:
+            path.append(n)
+            n = up[t, n]
+        assert [x["text"] for x in got[t, leaf]["turns"]] == [f"m{n}" for n in reversed(path)]
+        ranks.setdefault(t, []).append((-sum(score[t, n] for n in path), leaf))
+    for t, own in ranks.items():
+        assert [got[t, leaf]["branch_rank"] for _, leaf in sorted(own)] == list(range(1, len(own) + 1))
+    assert chat_format.format_threads(df, score="score", best=1).groupBy("tree_id").count().where("count > 1").count() == 0
+
+
+def test_chat_runs_no_python(spark):
+    df = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    plan = chat_format.digests(chat_format.format_threads(chat_format.conversation_threads(df)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Python" not in plan and "MapIn" not in plan
+
+
+@pytest.mark.parametrize("k,block", [(20, 4096), (3, 7)])
+def test_exact_top_k(spark, k, block):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.standard_normal((150, 12)), np.repeat(rng.standard_normal((1, 12)), 30, axis=0)])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(200, None), (220, [1.0, None]), (240, [float("nan")] * 12), (None, [1.0] * 12), (260, [1.0] * 5), (280, [2.0] * 5)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, score int")
+    got = sorted(map(tuple, exact_topk.exact_top_k(df, F.col("vec_id") % 20 == 0, k=k, query_block=block, seed_rows=40, candidate_block=16).collect()))
+    want, z = [], np.floor(64 * x).astype(int)
+    for q in range(0, 180, 20):
+        best = sorted((-int(z[q] @ z[i]), i) for i in range(180) if i != q)[:k]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    want += [(260, 1, 280, 128 * 64 * 5), (280, 1, 260, 128 * 64 * 5)]
+    assert got == sorted(want)
+    assert exact_topk.exact_top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+@given(st.lists(st.integers(-200, 200), min_size=12, max_size=12), st.lists(st.integers(-200, 200), min_size=12, max_size=12), st.integers(1, 12))
+@settings(max_examples=200, deadline=None)
+def test_segment_statistics_bound_the_product(a, b, n):
+    x, y = exact_topk.statistics(np.array([a]), n), exact_topk.statistics(np.array([b]), n)
+    assert float((x @ y.T)[0, 0]) >= np.dot(a, b) - 1e-6 * (1 + abs(np.dot(a, b)))
+
+
+def labelled(spark, n=1200, seed=7):
+    """Insults make a document toxic; naming a group mostly comes with insults in the labelled rows."""
+    random.seed(seed)
+    plain = [f"word{i}" for i in range(300)]
+    docs = []
+    for i in range(n):
+        words, toxic = random.choices(plain, k=random.randint(3, 60)), random.random() < 0.3
+        if toxic:
+            words += random.sample(["idiot", "moron", "vequ" + "".join(random.choices("abcdeio", k=4))], 1)
+        if random.random() < (0.6 if toxic else 0.05):
+            words.append(random.choice(["muslims", "christians", "jews"]))
+        random.shuffle(words)
+        docs.append((i, " ".join(words), int(toxic)))
+    return spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+
+
+def test_toxicity_held_out_and_neutral_mentions(spark):
+    df = labelled(spark)
+    docs, labels = df.select("doc_id", "text"), df.select("doc_id", "toxic")
+    got = toxicity.toxicity_scores(docs, labels).join(labels, "doc_id")
+    held = got.where("held_out")
+    assert held.count() > 150 and held.where("predicted = toxic").count() >= 0.97 * held.count()
+    neutral = spark.createDataFrame([(5000 + i, f"word1 word2 {t} word3") for i, t in enumerate(["muslims", "christians", "jews"])], "doc_id long, text string")
+    free = toxicity.train(docs, labels, toxicity.Settings(counterfactual=0.0))
+    tied = toxicity.train(docs, labels, toxicity.Settings(counterfactual=10.0))
+    mean = lambda model: toxicity.score(neutral, model).agg(F.avg("score")).first()[0]
+    assert mean(tied) < mean(free) and mean(tied) < 0.1
+    unseen = toxicity.score(spark.createDataFrame([(1, "word1 vequnova word2")], "doc_id long, text string"), tied).first()
+    assert unseen["predicted"] == 1
+    again = toxicity.train(docs.repartition(7), labels, toxicity.Settings(counterfactual=10.0))
+    assert np.allclose(again.weights, tied.weights) and again.places == tied.places
+
+
+def test_toxicity_edges(spark, messy, nothing):
+    labels = spark.createDataFrame([(1, 1), (1, 0), (6, None), (None, 1), (7, 3)], "doc_id long, toxic int")
+    got = toxicity.toxicity_scores(messy, labels).collect()
+    assert len(got) == 12 and all(r["predicted"] == 0 and 0 <= r["score"] <= 1 for r in got)
+    assert toxicity.toxicity_scores(nothing, labels).count() == 0
+    kept = toxicity.keep_clean(messy, toxicity.Model({"x": 0}, np.array([9.0]), -1.0))
+    assert kept.columns == messy.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "2", "3", "4", "6", "None", "7", "8", "-9", "10"])
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    df = labelled(spark, 600)
+    shared = "\nThis very line stands in a good number of the documents of this small corpus."
+    docs = df.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(shared))).otherwise(F.col("text")).alias("text"))
+    copies = docs.where("doc_id < 40").select(F.col("doc_id") + 10_000, F.concat(F.lit("tail "), "text"))
+    docs = docs.union(copies).select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    df.select("doc_id", F.lit(1).alias("quality"), "toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    toxic = {r["doc_id"] for r in df.where("toxic = 1").collect()}
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "packing"]
+    kept = corpus_pipeline.toxicity(spark, now, str(tmp_path))
+    assert kept.columns == now.columns
+    left = {r["doc_id"] for r in kept.collect()}
+    assert len((left & toxic)) <= 0.03 * len(toxic) and len({i for i in left if i < 10_000}) >= 0.97 * (600 - len(toxic))
+    lines = corpus_pipeline.line_dedup(spark, kept, str(tmp_path))
+    assert lines.columns == now.columns and lines.where(F.col("text").contains(shared.strip())).count() == 1 and lines.count() == kept.count()
+    assert lines.where(F.col("n_chars") != F.length("text")).count() == 0
+    near = corpus_pipeline.near_dedup(spark, lines, str(tmp_path))
+    assert near.columns == now.columns and near.count() < lines.count()
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {r["doc_id"] for r in near.collect()}
