@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,9 +99,9 @@ def swaps(words: set[str], terms: tuple[tuple[str, ...], ...]) -> list[set[str]]
     return out
 
 
-def fit(hits: list[list[int]], labels: np.ndarray, swapped: list[tuple[list[int], list[int]]], n: int, s: Settings) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on the whole sample. swapped: features before and after a swap."""
-    rows, cols = np.repeat(np.arange(len(hits)), [len(h) for h in hits]), np.array([i for h in hits for i in h], np.int64)
+def fit(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, swapped: list[tuple[list[int], list[int]]], n: int, s: Settings) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam on the whole sample. rows, cols: which features each labelled text has.
+    swapped: features before and after a swap."""
     at = np.repeat(np.arange(len(swapped)), [len(a) + len(b) for a, b in swapped])
     moved = np.array([i for a, b in swapped for i in (*a, *b)], np.int64)
     sign = np.array([x for a, b in swapped for x in (*[1.0] * len(a), *[-1.0] * len(b))])
@@ -109,7 +110,7 @@ def fit(hits: list[list[int]], labels: np.ndarray, swapped: list[tuple[list[int]
     share = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (len(labels) - labels.sum()))
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, s.steps + 1):
-        z = w[n] + np.bincount(rows, w[cols], len(hits))
+        z = w[n] + np.bincount(rows, w[cols], len(labels))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         off = (p - labels) * share
         g = np.append(np.bincount(cols, off[rows], n), off.sum())
@@ -134,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     share = min(1.0, settings.sample / max(1, known.count()))
     # At most about `sample` rows, whatever the table's size: a bound that allows the broadcast.
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    sample = docs.join(F.broadcast(known), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    sample = docs.join(F.broadcast(known), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id", "text").alias("key"))
 
     def count(batches):
         seen: Counter[str] = Counter()
@@ -175,13 +176,12 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
                 hits.append(presence.of(words))
                 sentences = [words_of(x) for x in re.split(r"[.!?\n]+", text or "")] if any(t in words for kind in settings.terms for t in kind) else []
                 swapped.append([[presence.of(x), presence.of(y)] for x in sentences for y in swaps(x, settings.terms)][:64])
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(hits, pa.list_(pa.int32())), pa.array(swapped, pa.list_(pa.list_(pa.list_(pa.int32()))))], ["toxic", "hits", "swapped"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(hits, pa.list_(pa.int32())), pa.array(swapped, pa.list_(pa.list_(pa.list_(pa.int32()))))], ["key", "toxic", "hits", "swapped"])
 
-    rows = sample.mapInArrow(present, "toxic int, hits array<int>, swapped array<array<array<int>>>").toArrow()
-    pairs = [(x, y) for own in rows["swapped"].to_pylist() for x, y in own]
-    order = np.lexsort(([str(h) for h in rows["hits"].to_pylist()], rows["toxic"].to_numpy()))  # the sum's order
-    hits = rows["hits"].to_pylist()
-    weights, bias = fit([hits[i] for i in order], rows["toxic"].to_numpy()[order].astype(float), sorted(pairs), len(names), settings)
+    table = sample.mapInArrow(present, "key long, toxic int, hits array<int>, swapped array<array<array<int>>>").toArrow().sort_by("key")  # sums in one order
+    pairs = [(x, y) for own in table["swapped"].filter(pc.greater(pc.list_value_length(table["swapped"]), 0)).to_pylist() for x, y in own]
+    rows = np.repeat(np.arange(table.num_rows), pc.list_value_length(table["hits"]).to_numpy())
+    weights, bias = fit(rows, pc.list_flatten(table["hits"]).to_numpy(), table["toxic"].to_numpy().astype(float), pairs, len(names), settings)
     return Model(places, weights, bias)
 
 
