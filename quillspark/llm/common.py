@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,7 +30,9 @@ def scratch_dir(spark: SparkSession) -> str:
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="quill-")
+        own = tempfile.mkdtemp(prefix="quill-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        named = f"file://{own}"
         spark.sparkContext.setCheckpointDir(named)
     if "://" not in named and not named.startswith("file:"):
         named = f"file://{os.path.abspath(named)}" if os.path.isabs(named) else named
