@@ -129,7 +129,7 @@ def test_line_dedup_equals_brute_force(spark):
             if words(line):
                 norms.setdefault(" ".join(words(line)), []).append((key, pos))
     names = sorted(norms)
-    sims = {r["n"]: r["s"] & ((1 << 64) - 1) for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", line_dedup.simhash(F.split("n", " ")).alias("s")).collect()}
+    sims = {r["n"]: r["s"] & ((1 << 64) - 1) for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", line_dedup.simhash(F.array_distinct(F.split("n", " "))).alias("s")).collect()}
     u = Union()
     for n in names:
         u.find(n)
