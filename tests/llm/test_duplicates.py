@@ -129,7 +129,7 @@ def test_line_dedup_equals_brute_force(spark):
             if words(line):
                 norms.setdefault(" ".join(words(line)), []).append((key, pos))
     names = sorted(norms)
-    sims = {r["n"]: r["s"] & ((1 << 64) - 1) for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", line_dedup.simhash(F.array_distinct(F.split("n", " "))).alias("s")).collect()}
+    sims = {r["n"]: r["s"] & ((1 << 64) - 1) for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", line_dedup.simhash(line_dedup.word_hashes(F.split("n", " "))).alias("s")).collect()}
     u = Union()
     for n in names:
         u.find(n)
@@ -153,7 +153,7 @@ def test_line_dedup_equals_brute_force(spark):
 def test_simhash_bits(spark):
     random.seed(2)
     rows = [(n, [random.choice("abcdefghij") * random.randint(1, 3) for _ in range(n)]) for n in (1, 2, 7, 127, 128, 600, 33_000)]
-    df = spark.createDataFrame(rows, "n int, w array<string>").select("n", line_dedup.simhash(F.col("w")).alias("s"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    df = spark.createDataFrame(rows, "n int, w array<string>").select("n", F.transform("w", lambda x: F.xxhash64(x)).alias("h")).select("*", line_dedup.simhash(F.col("h")).alias("s"))
     for r in df.collect():
         want = sum(1 << b for b in range(64) if sum(h >> b & 1 for h in r["h"]) * 2 > r["n"])
         assert r["s"] & ((1 << 64) - 1) == want
@@ -214,3 +214,12 @@ def test_forest_edges(spark):
     assert by_id[2] == (4, 1, False) and by_id[1] == (4, 1, True) and by_id[12] == (4, 1, False)
     assert by_id[None] == (0, None, True) and all(by_id[i] == (0, i, True) for i in (4, 5, 6, 7, 8, 9, 10, 11))
     assert rp_forest.near_duplicate_vectors(df.limit(0)).count() == 0
+
+
+def test_compiled_simhash_equals_the_fold(spark):
+    random.seed(8)
+    rows = [(i, [f"w{random.randrange(500)}" for _ in range(random.choice([0, 1, 2, 63, 64, 65, 126, 127, 128, 300, random.randrange(150)]))]) for i in range(300)]
+    df = spark.createDataFrame(rows, "i long, w array<string>")
+    df = df.select("i", line_dedup.word_hashes(F.col("w")).alias("h"), line_dedup.simhash(line_dedup.word_hashes(F.col("w"))).alias("want"))
+    got = line_dedup.with_simhash(df, "h", "s")
+    assert got.columns == ["i", "want", "s"] and got.where("s = want").count() == 300
