@@ -223,3 +223,55 @@ def test_compiled_simhash_equals_the_fold(spark):
     df = df.select("i", line_dedup.word_hashes(F.col("w")).alias("h"), line_dedup.simhash(line_dedup.word_hashes(F.col("w"))).alias("want"))
     got = line_dedup.with_simhash(df, "h", "s")
     assert got.columns == ["i", "want", "s"] and got.where("s = want").count() == 300
+
+
+def bit_distance(a, b):
+    """Edit distance by the bits of one integer (Myers)."""
+    places, top, mask = {}, 1 << (len(a) - 1), (1 << len(a)) - 1
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    up, down, out = mask, 0, len(a)
+    for c in b:
+        eq = places.get(c, 0)
+        x, y = eq | down, (((eq & up) + up) ^ up) | eq
+        h, l = down | ~(y | up), up & y
+        out += bool(h & top) - bool(l & top)
+        h, l = h << 1 | 1, l << 1
+        up, down = (l | ~(x | h)) & mask, h & x & mask
+    return out
+
+
+def test_line_dedup_finds_near_lines_by_edit_similarity_alone(spark):
+    """Recall with the parameters in use; what a near line is depends on no hash."""
+    random.seed(4)
+    vocabulary = ["".join(random.choices("abcdefghijklmnoprstuvw", k=random.randint(2, 9))) for _ in range(800)]
+    lines = []
+    for n in [1, 2, 3] * 5 + [8, 12, 20, 50] * 30:
+        base = random.choices(vocabulary, k=n) if n > 3 else [w * 3 for w in random.choices(vocabulary, k=n)]
+        lines.append(" ".join(base))
+        for edits in (1, random.choice([1, 2, 3]) if n > 12 else 1):
+            own = list(base)
+            for _ in range(edits):
+                i = random.randrange(n)
+                j = random.randrange(len(own[i]))
+                own[i] = own[i][:j] + "z" + own[i][j + random.randint(0, 1) :]
+            lines.append(" ".join(own))
+        if n > 12:
+            own = list(base)
+            own[random.randrange(n)] = random.choice(vocabulary)
+            lines.append(" ".join(own))
+    random.shuffle(lines)
+    lines = list(dict.fromkeys(lines))
+    u = Union()
+    for i, a in enumerate(lines):
+        u.find(i)
+        for j in range(i):
+            b = lines[j]
+            most = int(max(len(a), len(b)) * 0.1 + 1e-9)
+            if abs(len(a) - len(b)) <= most and bit_distance(a, b) <= most:
+                u.join(i, j)
+    near = sum(u.find(i) != i for i in range(len(lines)))
+    assert near > 200
+    got = line_dedup.deduplicated(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).where("n_dropped > 0").select("doc_id").collect()
+    assert all(u.find(r["doc_id"]) != r["doc_id"] for r in got)
+    assert len(got) >= 0.98 * near
