@@ -6,6 +6,10 @@ are fitted on a bounded sample; leaves that hold too many vectors afterwards are
 distributed quantile of the next projection, until none is too large. Every vector is compared within
 its leaves, in double precision, and links are joined into components by alternating large-star and
 small-star. A pair that meets in several leaves counts in the first of them only.
+
+A dense group would be cut at random by every tree. So groups that show in the sample get centres first:
+vectors linked with a centre are its core and leave the forest, and each is compared with all vectors within
+twice the threshold's angle of the centre, which none of its links can lie outside, block against block.
 """
 
 from __future__ import annotations
@@ -94,6 +98,57 @@ def link_leaf(table: pa.Table, threshold: float) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(count[some]), pa.array(least[root[some]])], ["vec_id", "links", "root"])
 
 
+def dense_centres(sample: np.ndarray, need: float, threshold: float) -> np.ndarray:
+    """Sample rows that at least `need` rows not linked with an earlier centre are linked with, greedily by count."""
+    left = np.ones(len(sample), bool)
+    count = np.zeros(len(sample), np.int64)
+    for at in range(0, len(sample), 1024):
+        count[at : at + 1024] = (sample[at : at + 1024] @ sample.T >= threshold).sum(axis=1)
+    centres = []
+    while len(sample):
+        best = int(np.where(left, count, -1).argmax())
+        if not left[best] or count[best] < need:
+            break
+        centres.append(best)
+        gone = np.flatnonzero(left & (sample @ sample[best] >= threshold))
+        left[best] = left[gone] = False
+        for at in range(0, len(gone), 1024):
+            count -= (sample @ sample[gone[at : at + 1024]].T >= threshold).sum(axis=1)
+    return np.array(centres, np.int64)
+
+
+def link_block(table: pa.Table, threshold: float) -> pa.RecordBatch:
+    """Links between a block of one core (probe) and a block of its cell. Members that are a core's count their own links there."""
+    probe = table["probe"].to_numpy(zero_copy_only=False).astype(bool)
+    ids, own, weight, core = (table[c].to_numpy() for c in ("vec_id", "own", "weight", "core"))
+    x, root = np.array(table["unit"].to_pylist()), table["centre"][0].as_py()
+    p, m = np.flatnonzero(probe), np.flatnonzero(~probe)
+    count = np.zeros(len(ids), np.int64)
+    for at in range(0, len(p), 1024):
+        part = p[at : at + 1024]
+        near = x[part] @ x[m].T >= threshold
+        near &= (ids[part, None] != ids[m]) | (own[part, None] != own[m])
+        count[part] += near @ weight[m]
+        count[m] += weight[part] @ near
+    some = probe | (count > 0)
+    count[~probe & (core >= 0)] = 0
+    return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(count[some]), pa.array(np.full(some.sum(), root, np.int64))], ["vec_id", "links", "root"])
+
+
+def _core_links(dense: DataFrame, block: int, threshold: float) -> DataFrame:
+    """dense: rows that lie in cells. Each core block meets each block of its cell in a task of its own."""
+    rows = dense.select("dim", F.explode("cells").alias("in"), "vec_id", "own", "weight", "core", "unit").select("dim", "in.cell", "in.centre", "vec_id", "own", "weight", "core", "unit")
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    sizes = rows.groupBy("dim", "cell").agg(blocks(F.count("*")).alias("across"), blocks(F.sum((F.col("core") == F.col("cell")).cast("int"))).alias("down")).where("down > 0")
+    rows = rows.join(F.broadcast(sizes), ["dim", "cell"])
+    dealt = lambda n: F.pmod(F.xxhash64("vec_id", "own"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = ["centre", "vec_id", "own", "weight", "core", "unit"]
+    probes = rows.where("core = cell").select("dim", "cell", dealt(F.col("down")).alias("i"), every("across").alias("j"), F.lit(True).alias("probe"), *rest)
+    members = rows.select("dim", "cell", every("down").alias("i"), dealt(F.col("across")).alias("j"), F.lit(False).alias("probe"), *rest)
+    return by_group(probes.union(members), ["dim", "cell", "i", "j"], functools.partial(link_block, threshold=threshold), "vec_id long, links long, root long")
+
+
 def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, trees: int = 14, leaf: int = 1000, leaf_most: int = 4000, spill: float = 0.05, sample: int = 20_000, seed: int = 11) -> DataFrame:
     """Vectors linked by cosine similarity >= threshold, in double precision.
 
@@ -102,7 +157,8 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     non-finite component, link with nothing, nor do rows with a null id (component_id null, kept true).
     Only vectors of equal length are compared. Rows that repeat an id and vector count as further rows
     of one class. Other columns are ignored; an empty table gives an empty result. `sample` bounds the
-    rows that the driver sees to fit the upper splits; every row is indexed and compared.
+    rows that the driver sees to fit the upper splits and to find dense groups (of `leaf` rows, and eight of the
+    sample); every row is indexed and compared, and all links of the dense groups' vectors are found.
     """
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
     usable = F.coalesce((F.size("x") > 0) & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))) & F.exists("x", lambda c: c != 0), F.lit(False)) & F.col("vec_id").isNotNull()
@@ -115,15 +171,23 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     largest = F.array_max(F.transform("x", F.abs))
     scaled = reps.withColumn("s", F.transform("x", lambda c: c / largest))
     norm = F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, c: a + c * c))
-    reps = materialize(scaled.withColumn("norm", norm).select("vec_id", "weight", F.transform("s", lambda c: c / F.col("norm")).alias("unit")), "units")
+    reps = materialize(scaled.withColumn("norm", norm).select("vec_id", "weight", F.transform("s", lambda c: c / F.col("norm")).alias("unit"), F.col("key.a").alias("own")), "units")
 
     total = reps.count()
-    drawn = reps.select("unit").orderBy(F.xxhash64("vec_id", F.lit(seed))).limit(sample).collect()
+    drawn = reps.select("vec_id", "unit").orderBy(F.xxhash64("vec_id", F.lit(seed))).limit(sample).collect()
     by_dim: dict[int, list] = {}
     for r in drawn:
-        by_dim.setdefault(len(r["unit"]), []).append(r["unit"])
+        by_dim.setdefault(len(r["unit"]), []).append((r["unit"], r["vec_id"]))
     share = len(drawn) / max(total, 1)
-    forest = {d: [Tree(seed, t, d).fit(np.array(rows), share, leaf, spill) for t in range(trees)] for d, rows in by_dim.items()}
+    forest, cells = {}, {}
+    for d, rows in by_dim.items():
+        x, ids = np.array([u for u, _ in rows]), np.array([i for _, i in rows])
+        at = dense_centres(x, max(8, leaf * share), threshold)
+        cells[d] = x[at], ids[at]
+        others = x[(x @ x[at].T < threshold).all(axis=1)]
+        forest[d] = [Tree(seed, t, d).fit(others, share, leaf, spill) for t in range(trees)]
+    # Cosine of twice the threshold's angle.
+    wide = 2 * threshold * threshold - 1 - 1e-9 if threshold > 0 else -2.0
 
     def place(batches):
         for batch in batches:
@@ -137,17 +201,29 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
                     rows, nodes = tree.leaves(x)
                     at.append(rows), found.append(nodes * trees + tree.tree)
                 at, found = np.concatenate(at), np.concatenate(found)
+                centres, names = cells.get(int(d)) or (np.empty((0, d)), np.empty(0, np.int64))
+                core, within = np.full(len(own), -1, np.int32), [[] for _ in own]
+                if len(centres):
+                    cosine = x @ centres.T
+                    core = np.where(cosine.max(axis=1) >= threshold, cosine.argmax(axis=1), -1).astype(np.int32)
+                    within = [[{"cell": k, "centre": names[k]} for k in np.flatnonzero(row >= wide)] for row in cosine]
+                    outside = core[at] < 0
+                    at, found = at[outside], found[outside]
                 order = np.lexsort((found, at))
                 ends = np.cumsum(np.bincount(at, minlength=len(own)))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(found[order]))
                 picked = batch.take(pa.array(own))
-                yield pa.RecordBatch.from_arrays([picked.column(1), picked.column(2), picked.column(0), pa.array(np.full(len(own), d, np.int32)), lists], ["vec_id", "weight", "unit", "dim", "leaves"])
+                yield pa.RecordBatch.from_arrays([picked.column(1), picked.column(2), picked.column(0), pa.array(np.full(len(own), d, np.int32)), lists, picked.column(3), pa.array(core), pa.array(within, pa.list_(pa.struct([("cell", pa.int32()), ("centre", pa.int64())])))], ["vec_id", "weight", "unit", "dim", "leaves", "own", "core", "cells"])
 
-    schema = "vec_id long, weight long, unit array<double>, dim int, leaves array<long>"
-    placed = materialize(reps.select("unit", "vec_id", "weight").mapInArrow(place, schema), "placed")
+    schema = "vec_id long, weight long, unit array<double>, dim int, leaves array<long>, own long, core int, cells array<struct<cell int, centre long>>"
+    everything = materialize(reps.select("unit", "vec_id", "weight", "own").mapInArrow(place, schema), "placed")
+    placed = everything.where("core < 0").select("vec_id", "weight", "unit", "dim", "leaves")
     placed = _refine(placed, trees, leaf_most, spill, seed)
     entries = placed.select("dim", F.explode("leaves").alias("leaf"), "vec_id", "weight", "unit", "leaves")
-    found = materialize(by_group(entries, ["dim", "leaf"], functools.partial(link_leaf, threshold=threshold), "vec_id long, links long, root long"), "found")
+    found = by_group(entries, ["dim", "leaf"], functools.partial(link_leaf, threshold=threshold), "vec_id long, links long, root long")
+    if any(len(names) for _, names in cells.values()):
+        found = found.union(_core_links(everything.where("size(cells) > 0"), leaf_most, threshold))
+    found = materialize(found, "found")
     links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("vec_id").alias("u"), F.col("root").alias("v")))
 

@@ -275,3 +275,22 @@ def test_line_dedup_finds_near_lines_by_edit_similarity_alone(spark):
     got = line_dedup.deduplicated(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).where("n_dropped > 0").select("doc_id").collect()
     assert all(u.find(r["doc_id"]) != r["doc_id"] for r in got)
     assert len(got) >= 0.98 * near
+
+
+def test_forest_keeps_all_links_of_a_dense_group(spark):
+    """Different near copies of one vector, more than a leaf holds, among others; some rows lie at the group's edge."""
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal(64)
+    noise = np.concatenate([np.full(10_000, 0.15), rng.uniform(0.3, 0.7, 1000)])
+    data = np.concatenate([centre + rng.standard_normal((11_000, 64)) * noise[:, None], rng.standard_normal((4000, 64))]).astype(np.float32)
+    data = data[rng.permutation(len(data))]
+    unit = data.astype(float) / np.linalg.norm(data.astype(float), axis=1)[:, None]
+    want = np.concatenate([(unit[i : i + 1000] @ unit.T >= 0.9).sum(axis=1) - 1 for i in range(0, len(unit), 1000)])
+    df = spark.createDataFrame(list(enumerate(data.tolist())), "vec_id long, embedding array<float>")
+    got = np.zeros(len(data), np.int64)
+    rows = rp_forest.near_duplicate_vectors(df).collect()
+    for r in rows:
+        got[r["vec_id"]] = r["n_links"]
+    assert (got <= want).all() and got.sum() >= 0.9999 * want.sum()
+    assert (got[want >= 9000] == want[want >= 9000]).all()
+    assert len({r["component_id"] for r in rows if want[r["vec_id"]]}) == 1
