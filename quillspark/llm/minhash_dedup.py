@@ -14,7 +14,7 @@
 4. Alternating large-star and small-star turn the links into components.
 
 A pair at similarity s shares a band with probability 1 - (1 - s^rows)^bands: with 36 bands of 7 rows,
-one in a million pairs at 0.85 is not looked at, and one in ten thousand at 0.8 (5 rows: none in 10^9).
+one in a million pairs at 0.85 is not looked at; 5 rows do the same at 0.8. Rows follow from the threshold.
 """
 
 from __future__ import annotations
@@ -75,6 +75,14 @@ def margin(threshold: float, n: int, sigmas: float = 5.5) -> float:
     return threshold - sigmas * (threshold * (1 - threshold) / n) ** 0.5 - 0.5 / n
 
 
+def band_rows(percent: int, bands: int, missed: float = 1e-6) -> int:
+    """The most rows of a band with which a pair at the threshold is missed by at most this chance."""
+    rows = 1
+    while rows < 64 and (1 - (percent / 100) ** (rows + 1)) ** bands <= missed:
+        rows += 1
+    return rows
+
+
 SKETCH = "doc_id long, n_shingles long, fp binary, bands array<long>, sig binary"
 
 
@@ -162,7 +170,7 @@ def hard_links(table: pa.Table, size: int, bands: int, rows: int, percent: int)
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, bands: int = 36, rows: int = 7, bucket_most: int = 4096, block_shingles: int = 1_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, bands: int = 36, rows: int | None = None, bucket_most: int = 4096, block_shingles: int = 1_000_000) -> DataFrame:
     """Near-duplicate components of documents.
 
     Words are runs of characters other than U+0020 and U+0009-U+000D with A-Z lower-cased. A document's
@@ -175,6 +183,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns of `docs` are ignored, whatever their names. An empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows or band_rows(percent, bands)
     sk = materialize(sketches(docs, size, bands, rows), "sketches")
     usable = sk.where("n_shingles > 0 and doc_id is not null")
     classes = materialize(usable.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")

@@ -294,3 +294,14 @@ def test_forest_keeps_all_links_of_a_dense_group(spark):
     assert (got <= want).all() and got.sum() >= 0.9999 * want.sum()
     assert (got[want >= 9000] == want[want >= 9000]).all()
     assert len({r["component_id"] for r in rows if want[r["vec_id"]]}) == 1
+
+
+def test_minhash_rows_follow_the_threshold(spark, monkeypatch):
+    used = {}
+    original = minhash_dedup.sketches
+    monkeypatch.setattr(minhash_dedup, "sketches", lambda docs, size, bands, rows: used.update({size: (bands, rows)}) or original(docs, size, bands, rows))
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b c")], "doc_id long, text string")
+    for size, percent in ((5, 80), (3, 85)):
+        minhash_dedup.near_duplicates(docs, size=size, percent=percent)
+        bands, rows = used[size]
+        assert (1 - (percent / 100) ** rows) ** bands <= 1e-6
