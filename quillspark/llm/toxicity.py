@@ -99,6 +99,12 @@ def swaps(words: set[str], terms: tuple[tuple[str, ...], ...]) -> list[set[str]]
     return out
 
 
+def swapped_features(text: str | None, presence: Presence, terms: tuple[tuple[str, ...], ...]) -> list[list[list[int]]]:
+    """Features before and after each swap in each sentence of the whole text."""
+    sentences = [words_of(x) for x in re.split(r"[.!?\n]+", text or "")]
+    return [[presence.of(x), presence.of(y)] for x in sentences for y in swaps(x, terms)]
+
+
 def fit(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, swapped: list[tuple[list[int], list[int]]], n: int, s: Settings) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on the whole sample. rows, cols: which features each labelled text has.
     swapped: features before and after a swap."""
@@ -174,8 +180,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
             for text in batch.column(0).to_pylist():
                 words = words_of(text)
                 hits.append(presence.of(words))
-                sentences = [words_of(x) for x in re.split(r"[.!?\n]+", text or "")] if any(t in words for kind in settings.terms for t in kind) else []
-                swapped.append([[presence.of(x), presence.of(y)] for x in sentences for y in swaps(x, settings.terms)][:64])
+                named = any(t in words for kind in settings.terms for t in kind)
+                swapped.append(swapped_features(text, presence, settings.terms) if named else [])
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(hits, pa.list_(pa.int32())), pa.array(swapped, pa.list_(pa.list_(pa.list_(pa.int32()))))], ["key", "toxic", "hits", "swapped"])
 
     table = sample.mapInArrow(present, "key long, toxic int, hits array<int>, swapped array<array<array<int>>>").toArrow().sort_by("key")  # sums in one order

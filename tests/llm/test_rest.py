@@ -155,3 +155,11 @@ def test_pipeline(spark, tmp_path):
     assert near.columns == now.columns and near.count() < lines.count()
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {r["doc_id"] for r in near.collect()}
+
+
+def test_toxicity_swaps_names_late_in_a_text():
+    terms = toxicity.IDENTITY_TERMS
+    first, last = terms[0][0], terms[-1][-1]
+    places = {first: 0, last: 1, "late": 2}
+    got = toxicity.swapped_features(f"{first} early. " * 60 + f"{last} late.", toxicity.Presence(places), terms)
+    assert len(got) == 60 * len(terms[0]) + len(terms[-1]) and got[-1][0] == [1, 2]
