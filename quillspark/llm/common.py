@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -29,14 +28,20 @@ def scratch_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not named:
         own = tempfile.mkdtemp(prefix="quill-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         named = f"file://{own}"
         spark.sparkContext.setCheckpointDir(named)
-    if "://" not in named and not named.startswith("file:"):
-        named = f"file://{os.path.abspath(named)}" if os.path.isabs(named) else named
-    return named
+    return qualified(spark, named)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, which is the session's default one where it names none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -49,6 +54,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores in front until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by materialize() that nothing reads any more."""
     path = getattr(df, "_quill_path", None)
