@@ -213,11 +213,12 @@ def extension_filter(spark, sf_dir):
     return table(spark, sf_dir, "pages").where(fn.has_extension(F.regexp_replace("url", "[?#].*$", ""), ".html", ".htm")).select("page_id", "url")
 
 
-@query("SELECT page_id, starts_with(html, '<!') AS is_markup, FALSE AS gzip FROM pages")
+@query("SELECT page_id, starts_with(html, '<!') AS is_markup, FALSE AS gzip FROM pages UNION ALL SELECT -1, FALSE, TRUE")
 def magic_sniff(spark, sf_dir):
-    """The first two bytes against a signature."""
-    content = F.col("html").cast("binary")
-    return table(spark, sf_dir, "pages").select("page_id", (F.substring(content, 1, 2) == F.lit(b"<!")).alias("is_markup"), fn.is_gzip(content).alias("gzip"))
+    """The first two bytes against a signature; one row of gzip bytes is added, as the pages have none."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("content"))
+    zipped = spark.range(1).select(F.lit(-1).cast("long").alias("page_id"), F.unhex(F.lit("1f8b0800")).alias("content"))
+    return pages.union(zipped).select("page_id", (F.substring("content", 1, 2) == F.lit(b"<!")).alias("is_markup"), fn.is_gzip(F.col("content")).alias("gzip"))
 
 
 @query("SELECT source, CAST(count(*) AS BIGINT) AS versions, CAST(sum(strlen(text)) AS BIGINT) AS original_size, CAST(sum(n_chars) AS BIGINT) AS extracted_size FROM documents GROUP BY source")

@@ -58,16 +58,22 @@ def safe_name(name: str) -> str | None:
 
 
 def members_of(content: bytes) -> Iterator[tuple[str, int, bytes]]:
-    """Wanted files of an archive: no links, no unsafe paths, no member or number of members beyond the limits."""
+    """Wanted files of an archive: no links, no unsafe paths. A wanted member or a number of members beyond the limits is an error."""
     with tarfile.open(fileobj=io.BytesIO(content), mode="r:gz") as tar:
         for n, member in enumerate(tar):
             if n >= MOST_MEMBERS:
                 raise tarfile.TarError(f"over {MOST_MEMBERS} members")
             name = safe_name(member.name)
-            if member.isfile() and name and name.lower().endswith(WANTED) and member.size <= MOST_MEMBER_BYTES:
+            if member.isfile() and name and name.lower().endswith(WANTED):
+                if member.size > MOST_MEMBER_BYTES:
+                    raise tarfile.TarError(f"a member of over {MOST_MEMBER_BYTES} bytes")
                 yield name, member.size, tar.extractfile(member).read()
 
 
+def _member(*row) -> pd.DataFrame:
+    return pd.DataFrame([row], columns=["path", "name", "size", "content"]).astype({"size": "Int64"})
+
+
 def archive_members(archives: DataFrame) -> DataFrame:
     """Members of the archives that pass the gates: path (of the archive), name, size, content.
 
@@ -77,16 +83,12 @@ def archive_members(archives: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"]):
-                rows, error = [], None
+                # One member is held at a time.
                 try:
                     for name, size, data in members_of(content):
-                        rows.append((path, name, size, data))
+                        yield _member(path, name, size, data)
                 except (tarfile.TarError, OSError, EOFError) as e:
-                    error = (path, f"error: {type(e).__name__}", None, None)
-                if error:
-                    rows.append(error)
-                if rows:
-                    yield pd.DataFrame(rows, columns=["path", "name", "size", "content"]).astype({"size": "Int64"})
+                    yield _member(path, f"error: {type(e).__name__}", None, None)
 
     return gated(archives).where("status = 'ok'").select("path", "content").mapInPandas(run, MEMBERS)
 

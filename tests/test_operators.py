@@ -155,3 +155,13 @@ def test_backoff_never_waits_after_the_last_attempt(outcomes):
 
     row = fetch("k", client, Pace(0), 4, waits.append)
     assert waits == [2.0**i for i in range(1, min(row[2], 4) if row[1] == "ok" else 4)]
+
+
+def test_repeated_versions_count_once(spark):
+    rows = [("a", 1, "x"), ("a", 1, "b"), ("a", 2, "c"), ("a", 3, "d"), ("a", 5, "e"), ("b", 2, "f"), ("b", 2, "f")]
+    df = spark.createDataFrame(rows, "key string, version int, title string")
+    got = versions.contiguous_prefix(df, "key", "version", F.lit(True))
+    assert sorted(map(tuple, got.collect())) == [("a", 1, "b"), ("a", 2, "c"), ("a", 3, "d")]
+    probed = df.withColumn("probe", F.lit("exists"))
+    got = versions.existing_prefix(probed, "key", "version", "probe", F.lit(True))
+    assert sorted(tuple(r)[:3] for r in got.collect()) == [("a", 1, "b"), ("a", 2, "c"), ("a", 3, "d")]

@@ -157,3 +157,18 @@ def test_cli(spark, tmp_path, monkeypatch):
     assert cli.main(["--input", f"{tmp_path}/in", "--output", out, "--last", "4363", "--resume"]) == 0
     assert spark.read.parquet(f"{out}/ledger").where(F.col("base_id") == "2406.04362").count() == 2
     assert spark.read.parquet(f"{out}/ledger").count() == 4
+
+
+def test_an_oversized_member_is_an_error_and_not_lost(spark, tmp_path, monkeypatch):
+    import os
+
+    with tarfile.open(tmp_path / "a.tar.gz", "w:gz") as tar:
+        for name, size in (("a.tex", 2000), ("b.tex", 5000)):
+            info = tarfile.TarInfo(name)
+            info.size = size
+            tar.addfile(info, io.BytesIO(os.urandom(size)))
+    content = (tmp_path / "a.tar.gz").read_bytes()
+    assert [(n, s) for n, s, _ in archives.members_of(content)] == [("a.tex", 2000), ("b.tex", 5000)]
+    monkeypatch.setattr(archives, "MOST_MEMBER_BYTES", 4000)
+    with pytest.raises(tarfile.TarError):
+        list(archives.members_of(content))
