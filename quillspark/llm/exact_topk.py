@@ -80,7 +80,7 @@ def exact_top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col
     query_id, rank (from 1), vec_id, score: all candidates, if fewer than k. Vectors that are null, empty
     or hold a null or non-finite component, and rows with a null id, take no part; only vectors of equal
     length meet. Rows that repeat an id are candidates once for each row with another id's query, ranked
-    by id, then score. Other columns are ignored. An empty table gives an empty result. The driver sees
+    by id, then score. Vectors whose inner products could reach 2^62 are an error, whatever their pairs. Other columns are ignored. An empty table gives an empty result. The driver sees
     `query_block` queries and `seed_rows` candidates (whose exact scores give the first floors) at a time.
     """
     marked = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked"))
@@ -89,6 +89,10 @@ def exact_top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col
     rows = materialize(marked.where(fine).select("id", "asked", F.size("v").alias("dim"), whole.alias("x")), "vectors")
     asked = rows.where("asked")
     counts = {r["dim"]: r["count"] for r in asked.groupBy("dim").count().collect()}
+    widest = rows.groupBy("dim").agg(F.max(F.array_max(F.transform("x", F.abs))).alias("widest"))
+    for r in widest.collect():
+        if r["dim"] * r["widest"] ** 2 >= 1 << 62:
+            raise ValueError(f"vectors of {r['dim']} components up to {r['widest']} have inner products beyond 62 bits")
     parts = []
     for dim, n in sorted(counts.items()):
         blocks = -(-n // (query_block // 2 or 1)) if n > query_block else 1

@@ -82,6 +82,12 @@ def test_exact_top_k(spark, k, block):
     assert exact_topk.exact_top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_exact_top_k_refuses_products_that_overflow(spark):
+    df = spark.createDataFrame([(20, [1e10, 1.0]), (21, [1e10, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="62 bits"):
+        exact_topk.exact_top_k(df, F.col("vec_id") % 20 == 0)
+
+
 @given(st.lists(st.integers(-200, 200), min_size=12, max_size=12), st.lists(st.integers(-200, 200), min_size=12, max_size=12), st.integers(1, 12))
 @settings(max_examples=200, deadline=None)
 def test_segment_statistics_bound_the_product(a, b, n):
