@@ -57,7 +57,7 @@ def settled(text: str) -> bool:
     return text.isascii() or unsettled().isdisjoint(text)
 
 
-def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 4 << 20, most_rows: int = 2000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 2 << 20, most_rows: int = 2000) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts have about `most_bytes` together; a longer text is a run of its own."""
     import pyarrow.compute as pc
 
@@ -78,25 +78,32 @@ class TextEncoder:
     Where the file describes plain byte-level BPE, texts are split by its pattern and the library
     encodes each distinct piece once; the pieces are remembered up to a limit. Texts with a special
     token's string or with letters that libraries may class differently go to the library whole, and so
-    do all texts of other tokenizers.
+    do all texts of other tokenizers. A plain file's whole tokenizer is loaded when the first such text comes.
     """
 
-    def __init__(self, path: str, pieces_kept: int = 600_000):
+    def __init__(self, path: str, pieces_kept: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole = Tokenizer.from_file(path)
-        spec = json.loads(self.whole.to_str())
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
-        self.plain = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and model.get("type") == "BPE" and not model.get("dropout") and not spec.get("truncation") and not spec.get("padding")
+        self.plain = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and model.get("type") == "BPE" and not model.get("dropout") and not spec.get("truncation") and not spec.get("padding")
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.size = self.whole.get_vocab_size(with_added_tokens=True)
-        self.kept = pieces_kept
+        self.path, self.kept = path, pieces_kept
         self.cache: dict[str, bytes | None] = {}
+        one = Tokenizer.from_file(path)
+        self.size = one.get_vocab_size(with_added_tokens=True)
         if self.plain:
-            self.alone = Tokenizer.from_file(path)
+            self.alone = one
             self.alone.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
+    @functools.cached_property
+    def whole(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _direct(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 

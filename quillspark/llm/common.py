@@ -74,7 +74,7 @@ def discard(df: DataFrame) -> None:
 class WordHashes(dict):
     """64-bit hashes of words (bytes); forgets all of them when it holds `limit`, so its memory is bounded."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
         self.limit = limit
 
