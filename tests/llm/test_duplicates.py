@@ -1,10 +1,12 @@
 """Near-duplicate operators against brute force."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from quillspark.llm import components, line_dedup, minhash_dedup, rp_forest
@@ -177,6 +179,57 @@ def test_line_dedup_in_buckets_of_common_blocks(spark):
     assert all(got[i] == 0 for i in range(300)) and sum(got[300 + i] for i in range(40)) >= 39
 
 
+def lines_of_one_common_block(n, copies, seed=15):
+    """Lines of 26 words that share the three words of one of eight blocks, and near copies that have another word in each other block."""
+    random.seed(seed)
+    block = lambda w: xxhash.xxh64_intdigest(w, seed=42) & 7
+    word = lambda: "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=8))
+
+    def of(wanted, source=word):
+        while block(w := source()) != wanted:
+            pass
+        return w
+
+    common = [of(0) for _ in range(3)]
+    bases = [common + [of(i % 7 + 1) for i in range(23)] for _ in range(n)]
+    edited = lambda w: of(block(w), lambda: w[:-2] + random.choice("0123456789") + random.choice("0123456789"))
+    return [" ".join(b) for b in bases], [" ".join(common + [edited(w) if i < 7 else w for i, w in enumerate(b[3:])]) for b in bases[-copies:]]
+
+
+def test_line_dedup_compares_all_lines_of_a_common_block(spark):
+    """The only block that a line and its copy agree in is one of a bucket of far more than `common` lines."""
+    lines, copies = lines_of_one_common_block(160, 40)
+    df = spark.createDataFrame(list(enumerate(lines + copies)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.deduplicated(df, common=10).collect()}
+    assert all(got[i] == 0 for i in range(160)) and all(got[160 + i] == 1 for i in range(40))
+
+
+def test_line_dedup_is_the_same_however_buckets_are_dealt(spark):
+    df = spark.createDataFrame(line_corpus(), "doc_id long, text string")
+    kept = [sorted(map(tuple, line_dedup.deduplicated(df, common=n).collect())) for n in (1, 10**6)]
+    assert kept[0] == kept[1]
+
+
+def test_letters_rule_out_no_near_line(spark):
+    random.seed(8)
+    rows = []
+    for n in [1, 5, 40, 300, 30_000] * 12:
+        a = random.choices("ek" if n == 30_000 else "etaoin shrdlukwxyzñ漢🙂", k=n)
+        b, edits = list(a), random.randint(0, 12)
+        for _ in range(edits):
+            at = random.randrange(len(b) + 1)
+            b[at : at + random.randint(0, 1)] = random.choice(["", "t", "k", " ", "z"])
+        rows.append(("".join(a), "".join(b), edits))
+    df = spark.createDataFrame(rows, "a string, b string, edits int")
+    sides = [regex.sub(r" as (l\d*)$", rf" as {x}\1", e) for x in "ab" for e in line_dedup._letters(x)]
+    near = df.selectExpr("*", *sides).selectExpr("*", f"{line_dedup._letters_near('a', 'b', 'edits')} as near").collect()
+    lanes = lambda t: Counter({c: min(t.count(c), line_dedup.MOST_COUNTED) for c in line_dedup.LETTERS})
+    over = lambda x, y: sum((lanes(x) - lanes(y)).values())
+    assert all(r["near"] for r in near)
+    tight = df.selectExpr("a", "reverse(upper(a)) || b as b", "edits").selectExpr("*", *sides).selectExpr("*", f"{line_dedup._letters_near('a', 'b', 'edits')} as near").collect()
+    assert all(r["near"] == (max(over(r["a"], r["b"]), over(r["b"], r["a"])) <= r["edits"]) for r in [*near, *tight])
+
+
 def test_line_dedup_keeps_columns_with_its_own_names(spark):
     rows = [(1, "one two three", 7, 8, 9, 10), (2, "one two three", 7, 8, 9, 10)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, word int, drop_k int, __k int")
