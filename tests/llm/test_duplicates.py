@@ -204,6 +204,16 @@ def test_line_dedup_compares_all_lines_of_a_common_block(spark):
     assert all(got[i] == 0 for i in range(160)) and all(got[160 + i] == 1 for i in range(40))
 
 
+def test_marks_agree_wherever_keys_do(spark):
+    random.seed(9)
+    lines = [random.sample(range(-(10**18), 10**18, 10**16), k=n) + list(range(i % 4)) for i, n in enumerate([1, 2, 5, 20, 40] * 6)]
+    df = spark.createDataFrame([(i, k) for i, own in enumerate(lines) for k in own], "id int, key long").groupBy("id").agg(*line_dedup._marks("key"))
+    a, b = (df.select(*[F.col(c).alias(f"{x}{c}") for c in ("id", *line_dedup.MARK_COLUMNS)]) for x in "ab")
+    kept = {tuple(r)[:2] for r in a.crossJoin(b).where(line_dedup._marks_agree("a", "b", "2")).select("aid", "bid").collect()}
+    want = {(i, j) for i, x in enumerate(lines) for j, y in enumerate(lines) if len(set(x) & set(y)) >= 2}
+    assert want <= kept and len(kept) < len(lines) ** 2
+
+
 def test_line_dedup_is_the_same_however_buckets_are_dealt(spark):
     df = spark.createDataFrame(line_corpus(), "doc_id long, text string")
     kept = [sorted(map(tuple, line_dedup.deduplicated(df, common=n).collect())) for n in (1, 10**6)]
