@@ -204,6 +204,16 @@ def test_line_dedup_compares_all_lines_of_a_common_block(spark):
     assert all(got[i] == 0 for i in range(160)) and all(got[160 + i] == 1 for i in range(40))
 
 
+def test_pipeline_compares_all_lines_of_a_common_block(spark):
+    """The stage with its own parameters."""
+    import corpus_pipeline
+
+    lines, copies = lines_of_one_common_block(1100, 20)
+    df = spark.createDataFrame(list(enumerate(lines + copies)), "doc_id long, text string")
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, df, "").collect()}
+    assert all(left[i] == line for i, line in enumerate(lines)) and all(left[1100 + i] == "" for i in range(20))
+
+
 def test_marks_agree_wherever_keys_do(spark):
     random.seed(9)
     lines = [random.sample(range(-(10**18), 10**18, 10**16), k=n) + list(range(i % 4)) for i, n in enumerate([1, 2, 5, 20, 40] * 6)]
