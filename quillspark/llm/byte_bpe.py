@@ -8,7 +8,6 @@ import os
 import re
 import sys
 import unicodedata
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,12 +71,16 @@ def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 2 << 20, most_row
         yield batch.slice(at)
 
 
+#: Stands between pieces that the library encodes as one string, so many at once: a byte that is a token of its own there.
+BETWEEN, TOGETHER = "\0", 100
+
+
 class TextEncoder:
     """Ids of texts by a tokenizers file, without added special tokens.
 
     Where the file describes plain byte-level BPE, texts are split by its pattern and the library
-    encodes each distinct piece once; the pieces are remembered up to a limit. Texts with a special
-    token's string or with letters that libraries may class differently go to the library whole, and so
+    encodes each distinct piece once; the pieces are remembered up to a limit, beyond which those go that came in one run of texts only.
+    Texts with a special token's string, with U+0000 or with letters that libraries may class differently go to the library whole, and so
     do all texts of other tokenizers. A plain file's whole tokenizer is loaded when the first such text comes.
     """
 
@@ -89,14 +92,18 @@ class TextEncoder:
             spec = json.load(f)
         pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
         self.plain = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and model.get("type") == "BPE" and not model.get("dropout") and not spec.get("truncation") and not spec.get("padding")
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.apart = [BETWEEN, *(t["content"] for t in spec.get("added_tokens", []))]
         self.path, self.kept = path, pieces_kept
         self.cache: dict[str, bytes | None] = {}
+        self.again: set[str] = set()
         one = Tokenizer.from_file(path)
         self.size = one.get_vocab_size(with_added_tokens=True)
         if self.plain:
             self.alone = one
-            self.alone.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.alone.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(BETWEEN, "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            mark = self.alone.encode(BETWEEN, add_special_tokens=False)
+            alone = mark.tokens == ["\u0100"] and not any(BETWEEN in s for s in self.apart[1:])
+            self.mark, self.together = (mark.ids[0], TOGETHER) if alone else (-1, 1)
 
     @functools.cached_property
     def whole(self):
@@ -107,19 +114,32 @@ class TextEncoder:
     def _direct(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def _remember(self, distinct: set[str]) -> None:
+        known = {p for p in distinct if p in self.cache}
+        new = list(distinct - known)
+        self.again |= known
+        if len(self.cache) + len(new) > self.kept:
+            if 2 * len(self.again) > self.kept:
+                self.again = known
+            self.cache = {k: v for k, v in self.cache.items() if k in self.again}
+        for at in range(0, len(new), 200 * self.together):
+            part = new[at : at + 200 * self.together]
+            runs = [part[i : i + self.together] for i in range(0, len(part), self.together)]
+            for run, e in zip(runs, self.alone.encode_batch_fast([BETWEEN.join(run) for run in runs], add_special_tokens=False)):
+                ids = np.array(e.ids, np.uint32)
+                raw, start = ids.tobytes(), 0
+                for p, end in zip(run, [*(4 * np.flatnonzero(ids == self.mark)).tolist(), len(raw)], strict=True):
+                    self.cache[p] = raw[start:end]
+                    start = end + 4
+            if not settled("".join(part)):
+                self.cache.update((p, None) for p in part if not settled(p))
+
     def encode_many(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         if not self.plain:
             yield from (self._direct(t or "") for t in texts)
             return
-        split = [pieces(t) if t and not any(s in t for s in self.special) else None for t in texts]
-        distinct = set().union(*(s for s in split if s is not None))
-        if len(self.cache) + len(distinct) > self.kept:
-            self.cache = {k: v for k, v in self.cache.items() if k in distinct}
-        new = [p for p in distinct if p not in self.cache]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for p, e in zip(part, self.alone.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[p] = array("I", e.ids).tobytes() if settled(p) else None
+        split = [pieces(t) if t and not any(s in t for s in self.apart) else None for t in texts]
+        self._remember(set().union(*(s for s in split if s is not None)))
         get = self.cache.__getitem__
         for text, parts in zip(texts, split):
             if parts is None:

@@ -43,6 +43,27 @@ def test_text_encoder_equals_library(library):
     assert not other.plain and next(other.encode_many(["Some words"])).tolist() == other.whole.encode("Some words", add_special_tokens=False).ids
 
 
+def test_text_encoder_remembers_pieces_of_several_runs(library):
+    """Pieces that came in more than one run are not encoded again after the limit; ids are the library's, with U+0000 and without."""
+    encoder = byte_bpe.TextEncoder(HF, pieces_kept=300)
+    asked = []
+
+    class Counted:
+        def encode_batch_fast(self, part, **options):
+            asked.extend(part)
+            return alone.encode_batch_fast(part, **options)
+
+    alone, encoder.alone = encoder.alone, Counted()
+    common = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(100))
+    rare = [" ".join(f"r{run}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)) for run in "xyz"]
+    odd = [(t or "").replace("\0", "") for t in fuzz(300, 8)] + ["a\0b", "\0", " \0 \0"]
+    for run in ([common], [common], [rare[0]], [rare[1]], [rare[2]], [common]):
+        asked.clear()
+        assert [x.tolist() for x in encoder.encode_many(run)] == [library.encode(t, add_special_tokens=False).ids for t in run]
+    assert not asked
+    assert [x.tolist() for x in encoder.encode_many(odd)] == [library.encode(t, add_special_tokens=False).ids for t in odd]
+
+
 def test_counts_equal_libraries():
     import sentencepiece
 
