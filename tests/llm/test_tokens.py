@@ -64,6 +64,21 @@ def test_text_encoder_remembers_pieces_of_several_runs(library):
     assert [x.tolist() for x in encoder.encode_many(odd)] == [library.encode(t, add_special_tokens=False).ids for t in odd]
 
 
+def test_text_encoder_joins_new_pieces(library):
+    """The library is asked for strings of many pieces, not for each."""
+    encoder, asked = byte_bpe.TextEncoder(HF), []
+
+    class Counted:
+        def encode_batch_fast(self, part, **options):
+            asked.extend(part)
+            return alone.encode_batch_fast(part, **options)
+
+    alone, encoder.alone = encoder.alone, Counted()
+    text = " ".join(f"é{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(500))
+    assert next(encoder.encode_many([text])).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert 0 < len(asked) <= 10
+
+
 def test_counts_equal_libraries():
     import sentencepiece
 
