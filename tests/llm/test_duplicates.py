@@ -214,6 +214,29 @@ def test_pipeline_compares_all_lines_of_a_common_block(spark):
     assert all(left[i] == line for i, line in enumerate(lines)) and all(left[1100 + i] == "" for i in range(20))
 
 
+@pytest.mark.parametrize("shared", [False, True])
+def test_pipeline_compares_long_lines_of_one_block(spark, shared):
+    """Lines of 48 words in sixteen blocks and near copies that have another word in each block but one, whose words all lines have, or line and copy alone."""
+    import corpus_pipeline
+
+    random.seed(16)
+    block = lambda w: xxhash.xxh64_intdigest(w, seed=42) & 15
+    word = lambda: "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=8))
+
+    def of(wanted, source=word):
+        while block(w := source()) != wanted:
+            pass
+        return w
+
+    common = [of(0) for _ in range(3)]
+    bases = [(common if shared else [of(0) for _ in range(3)]) + [of(i % 15 + 1) for i in range(45)] for _ in range(30)]
+    edited = lambda w: of(block(w), lambda: w[:-2] + "".join(random.choices("0123456789abcdefghijklmnopqrstuvwxyz", k=2)))
+    copies = [b[:3] + [next(e for e in iter(lambda w=w: edited(w), None) if e != w) if i < 15 else w for i, w in enumerate(b[3:])] for b in bases]
+    df = spark.createDataFrame(list(enumerate(" ".join(b) for b in bases + copies)), "doc_id long, text string")
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, df, "").collect()}
+    assert all(left[i] == " ".join(b) for i, b in enumerate(bases)) and all(left[30 + i] == "" for i in range(30))
+
+
 def test_marks_agree_wherever_keys_do(spark):
     random.seed(9)
     lines = [random.sample(range(-(10**18), 10**18, 10**16), k=n) + list(range(i % 4)) for i, n in enumerate([1, 2, 5, 20, 40] * 6)]
