@@ -141,7 +141,7 @@ def encode_word(table: Column, parts: Column) -> Column:
 
 
 def decode_ids(entries: Column, ids: Column) -> Column:
-    return F.aggregate(ids, F.lit("").cast("binary"), lambda done, i: F.concat(done, F.unhex(F.get(entries, i))))
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(entries, i)), ""))
 
 
 class _Places(dict):

@@ -79,6 +79,12 @@ def test_text_encoder_joins_new_pieces(library):
     assert 0 < len(asked) <= 10
 
 
+def test_settled_needs_no_look_at_latin_characters(monkeypatch):
+    assert not byte_bpe.settled("a" + min(byte_bpe.unsettled())) and byte_bpe.settled("漢字 é")
+    monkeypatch.setattr(byte_bpe, "unsettled", None)
+    assert byte_bpe.settled("naïve ÿ") and byte_bpe.settled("plain") and byte_bpe.settled("")
+
+
 def test_counts_equal_libraries():
     import sentencepiece
 
