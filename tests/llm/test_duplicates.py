@@ -237,6 +237,37 @@ def test_pipeline_compares_long_lines_of_one_block(spark, shared):
     assert all(left[i] == " ".join(b) for i, b in enumerate(bases)) and all(left[30 + i] == "" for i in range(30))
 
 
+def test_short_words_bring_no_unlike_lines_together(spark):
+    """Lines that have the same twenty short words and no other in common share no block."""
+    random.seed(18)
+    short = [a + b for a in "abcde" for b in "lmno"]
+    word = lambda: "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=8))
+    lines = [" ".join(random.sample(short, 20) + [word() for _ in range(30)]) for _ in range(400)]
+    docs = spark.createDataFrame([(i, i, line) for i, line in enumerate(lines)], "k long, t long, text string")
+    keys = line_dedup._keyed(docs, 0.9).where("key is not null").select("key", "h1").distinct()
+    assert keys.select("h1").distinct().count() == 400 and keys.groupBy("key").count().where("count > 1").count() == 0
+
+
+def test_line_dedup_looks_at_lines_that_agree_in_two_long_words(spark):
+    """Copies of lines of 47 words that have another word in each of sixteen blocks but one, which has two words."""
+    random.seed(19)
+    block = lambda w: xxhash.xxh64_intdigest(w, seed=42) & 15
+    word = lambda: "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=8))
+
+    def of(wanted, source=word):
+        while block(w := source()) != wanted:
+            pass
+        return w
+
+    bases = [[of(0) for _ in range(2)] + [of(i % 15 + 1) for i in range(45)] for _ in range(30)]
+    edited = lambda w: of(block(w), lambda: w[:-2] + "".join(random.choices("0123456789abcdefghijklmnopqrstuvwxyz", k=2)))
+    copies = [b[:2] + [next(e for e in iter(lambda w=w: edited(w), None) if e != w) if i < 15 else w for i, w in enumerate(b[2:])] for b in bases]
+    shuffled = [random.sample(range(47), 47) for _ in bases]
+    rows = [" ".join(own[i] for i in order) for side in (bases, copies) for own, order in zip(side, shuffled)]
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.deduplicated(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert all(got[i] == 0 and got[30 + i] == 1 for i in range(30))
+
+
 def test_marks_agree_wherever_keys_do(spark):
     random.seed(9)
     lines = [random.sample(range(-(10**18), 10**18, 10**16), k=n) + list(range(i % 4)) for i, n in enumerate([1, 2, 5, 20, 40] * 6)]
