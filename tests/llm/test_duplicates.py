@@ -268,6 +268,17 @@ def test_line_dedup_looks_at_lines_that_agree_in_two_long_words(spark):
     assert all(got[i] == 0 and got[30 + i] == 1 for i in range(30))
 
 
+def test_line_dedup_leaves_the_session_as_it_was(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, during = spark.conf.get(name, None), []
+    line_dedup._repeated, inner = lambda *a: during.append(spark.conf.get(name)) or inner(*a), line_dedup._repeated
+    try:
+        line_dedup.deduplicated(spark.createDataFrame([(1, "one two three")], "doc_id long, text string"))
+    finally:
+        line_dedup._repeated = inner
+    assert during == ["true"] and spark.conf.get(name, None) == before
+
+
 def test_marks_agree_wherever_keys_do(spark):
     random.seed(9)
     lines = [random.sample(range(-(10**18), 10**18, 10**16), k=n) + list(range(i % 4)) for i, n in enumerate([1, 2, 5, 20, 40] * 6)]
