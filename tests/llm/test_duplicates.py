@@ -295,6 +295,39 @@ def test_line_dedup_is_the_same_however_buckets_are_dealt(spark):
     assert kept[0] == kept[1]
 
 
+def test_line_dedup_makes_no_table_of_unlike_pairs(spark, monkeypatch):
+    """Lines of one common block meet where their texts are: pairs with a centre and links alone leave the tasks."""
+    lines, copies = lines_of_one_common_block(160, 40, seed=20)
+    df = spark.createDataFrame(list(enumerate(lines + copies)), "doc_id long, text string")
+    rows, inner = [], line_dedup._links
+    monkeypatch.setattr(line_dedup, "_links", lambda pairs, *a: rows.append(pairs.count()) or inner(pairs, *a))
+    assert line_dedup.deduplicated(df, common=10).where("n_dropped = 1").count() == 40
+    assert sum(rows) < 4 * 200
+
+
+def test_line_dedup_is_the_same_in_several_passes(spark, monkeypatch):
+    df = spark.createDataFrame(line_corpus(), "doc_id long, text string")
+    once = sorted(map(tuple, line_dedup.deduplicated(df).collect()))
+    monkeypatch.setattr(line_dedup, "_passes", lambda *a: 3)
+    assert sorted(map(tuple, line_dedup.deduplicated(df, common=5).collect())) == once
+
+
+def test_beginnings_rule_out_no_near_line(spark):
+    random.seed(21)
+    rows = []
+    for _ in range(1500):
+        a = "".join(random.choices("abcd ", k=random.randrange(1, 120)))
+        b = list(a)
+        for _ in range(random.randrange(0, 14)):
+            at = random.randrange(len(b) + 1)
+            b[at : at + random.randrange(2)] = random.choice(["", "x", "a", "bc"])
+        if random.random() < 0.2:
+            b = b[7:] + b[:7]
+        rows.append((a, "".join(b), random.randrange(0, 20)))
+    got = spark.createDataFrame(rows, "a string, b string, edits int").selectExpr(f"{line_dedup._near('a', 'b', 'edits')} as near", "levenshtein(a, b) <= edits as want").collect()
+    assert all(r["near"] == r["want"] for r in got) and 0 < sum(r["want"] for r in got) < len(rows)
+
+
 def test_letters_rule_out_no_near_line(spark):
     random.seed(8)
     rows = []
