@@ -62,6 +62,16 @@ def test_archives(spark, landing):
     assert tables.folder_size(spark, str(landing)).first()["files"] == 8
 
 
+def test_archives_are_opened_once_and_members_leave_together(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.tar.gz").write_bytes(tar({f"{i}-{k}.tex": bytes([k]) * size for k, size in enumerate((3 << 20, 0, 5 << 20, 7))}))
+    members = archives.archive_members(archives.landed_archives(spark, str(tmp_path)))
+    plan = members._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan and plan.count("MapInArrow") == 1
+    got = sorted((r["name"], r["size"], bytes(r["content"])) for r in members.collect())
+    assert got == [(f"{i}-{k}.tex", size, bytes([k]) * size) for i in range(3) for k, size in enumerate((3 << 20, 0, 5 << 20, 7))]
+
+
 def test_unpacked_versions(spark):
     versions = spark.createDataFrame([("p", v, s) for v, s in ((1, "exists"), (2, "error"), (3, "exists"), (4, "exists"), (6, "exists"))], "base_id string, version int, probe string")
     files = spark.createDataFrame([("p", 1, "f1", 10, "ok"), ("p", 3, "f3", 20, "not_tar"), ("p", 4, "f4", 30, "ok"), ("p", 6, "f6", 40, "ok")], "base_id string, version int, path string, length long, status string")
