@@ -1,6 +1,7 @@
 """Near-duplicate operators against brute force."""
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -328,6 +329,40 @@ def test_beginnings_rule_out_no_near_line(spark):
     assert all(r["near"] == r["want"] for r in got) and 0 < sum(r["want"] for r in got) < len(rows)
 
 
+def test_pieces_change_no_distance(spark):
+    random.seed(23)
+    rows = []
+    words = lambda n: ["".join(random.choices("aeionst", k=random.randrange(1, 9))) for _ in range(n)]
+    for n in [1, 7, 8, 60, 120, 200] * 50:
+        a = words(n)
+        b = list(a)
+        for _ in range(random.randrange(0, 2 + n // 5)):
+            at = random.randrange(len(b) + 1)
+            b[at : at + random.randrange(3)] = words(random.randrange(3))
+        if random.random() < 0.3:
+            b = [*b[n // 3 :], *words(random.randrange(40))]
+        rows.append((" ".join(a), " ".join(b), random.choice([0, 3, n // 4, n // 2])))
+    rows += [("x" * 5000 + " " + a, b, 600) for a, b, _ in rows[5::60]] + [(a, "", 5) for a, _, _ in rows[:9]]
+    split = "struct(split(a, ' ') as xw, split(b, ' ') as yw)"
+    df = spark.createDataFrame(rows, "a string, b string, edits int")
+    pieces = line_dedup._let(split, "w", line_dedup._pieces_near("edits"))
+    got = df.selectExpr(f"{line_dedup._near('a', 'b', 'edits')} as near", f"{pieces} as pieces", "levenshtein(a, b) <= edits as want").collect()
+    assert all(r["near"] == r["want"] for r in got) and 50 < sum(r["want"] for r in got) < len(rows) - 50
+    assert all(r["want"] for r in got if r["pieces"]) and sum(r["pieces"] for r in got) > 0.8 * sum(r["want"] for r in got)
+
+
+def test_near_long_lines_take_no_square_of_their_length(spark):
+    random.seed(24)
+    a = ["".join(random.choices("aeionst", k=random.randrange(2, 9))) for _ in range(12_000)]
+    b = list(a)
+    for _ in range(200):
+        at = random.randrange(len(b))
+        b[at : at + random.randrange(2)] = ["edited"]
+    df = spark.createDataFrame([(" ".join(a), " ".join(b), 6000)], "a string, b string, edits int").selectExpr(f"{line_dedup._near('a', 'b', 'edits')} as near")
+    started = time.monotonic()
+    assert df.first()["near"] and time.monotonic() - started < 10
+
+
 def test_letters_rule_out_no_near_line(spark):
     random.seed(8)
     rows = []
