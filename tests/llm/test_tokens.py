@@ -1,6 +1,8 @@
 """Tokenisation, counting, packing and token files against the libraries themselves."""
 
+import base64
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -121,6 +123,25 @@ def test_fold_equals_library_and_round_trips(spark, messy, nothing):
     assert bpe_fold.encode_decode(nothing, path=RANKS).count() == 0
 
 
+def test_fold_finds_pairs_without_hashes(spark, messy, tmp_path):
+    """Each pair that is a token is found in one place of its row, no other pair is, and the plan computes no hash for it."""
+    plan = bpe_fold.encode_decode(messy, path=RANKS, common_words=0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" not in plan
+    words = [bytes([b]) for b in range(256)] + [b"ab", b"ba", b"abab", b"aba", b"bb", b"abb", b"aa", b"aaa"]
+    path = tmp_path / "few.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(w) + b" %d\n" % i for i, w in enumerate(words)))
+    starts, entries = ([int(x) for x in half.split(",")] for half in bpe_fold.rank_literal(str(path)))
+    for left, a in enumerate(words, 1):
+        for right, b in enumerate(words, 1):
+            place = (starts[left] if left < len(starts) else 0) + right
+            found = (entries[place] if 0 <= place < len(entries) else 0) ^ left << bpe_fold.PAIR_BITS
+            assert (found if found < bpe_fold.NO_RANK else None) == (words.index(a + b) + 1 if a + b in words else None)
+    texts = ["".join(t) for n in range(9) for t in itertools.product("ab", repeat=n)]
+    rows = bpe_fold.encode_decode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path=str(path), common_words=0).collect()
+    lib = bpe_fold.library(str(path))
+    assert len(rows) == len(texts) and all(r["ids"] == lib.encode_ordinary(texts[r["doc_id"]]) and bytes(r["decoded"]) == texts[r["doc_id"]].encode() for r in rows)
+
+
 def test_fold_uses_no_shuffle_beyond_the_common_words(spark, messy):
     plan = bpe_fold.encode_decode(messy, path=RANKS, common_words=0)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
