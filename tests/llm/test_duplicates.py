@@ -306,6 +306,25 @@ def test_line_dedup_makes_no_table_of_unlike_pairs(spark, monkeypatch):
     assert sum(rows) < 4 * 200
 
 
+def test_lines_near_a_few_of_a_group_meet_no_others(spark, monkeypatch):
+    """A chain of lines, each near its neighbours only: those that are not near the centre join its group before all meet."""
+    random.seed(26)
+    word = lambda: "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    base, other = [word() for _ in range(60)], [word() for _ in range(60)]
+    lines = [" ".join(other[:i] + base[i:-1] + [word()]) for i in range(18) for _ in range(8)]
+    late, inner = [], line_dedup._late_links
+    monkeypatch.setattr(line_dedup, "_late_links", lambda labelled, *a: late.append(labelled.where("label <> main").select("id").distinct().count()) or inner(labelled, *a))
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert line_dedup.deduplicated(df).where("n_dropped = 1").count() == len(lines) - 1
+    assert late[0] <= len(lines) // 10
+
+
+def test_words_of_each_character(spark):
+    rows = [(f"x{chr(c)}y{after}",) for c in range(1, 0x300) if chr(c) != "\n" for after in ("", "漢")]
+    got = spark.createDataFrame(rows, "line string").select("line", F.lower("line").alias("low"), line_dedup.line_words(F.col("line")).alias("words"))
+    assert all(r["words"] == regex.findall(r"[\p{L}\p{M}\p{N}]+", r["low"]) for r in got.collect())
+
+
 def test_line_dedup_is_the_same_in_several_passes(spark, monkeypatch):
     df = spark.createDataFrame(line_corpus(), "doc_id long, text string")
     once = sorted(map(tuple, line_dedup.deduplicated(df).collect()))
